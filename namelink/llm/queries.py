@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import mixing, packing, quality, simhash
 from .common import table
 
 
+def default_vocabulary() -> str:
+    """The public byte-level vocabulary of the contract; any other path can be passed instead."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.copies(slim, mixing.plan(slim)).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -21,8 +35,52 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary or default_vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op5_quality": op5_quality}
+    return {"op1_mixing": op1_mixing, "op3_simhash": op3_simhash, "op5_quality": op5_quality, "op6_packing": op6_packing}
+
+
+# Rate, whole copies and the cut as in the operator; the rank is the order of u because a source has one rate.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][(n % 3 + 1)::INT]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER ()
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), t AS (
+  SELECT source, source_size,
+         round(least(cap, coalesce((SELECT arg_min(level, (cap / weight, n)) FROM l WHERE level * weight <= cap) * weight, cap)), 6) AS target
+  FROM l
+), r AS (
+  SELECT *, least(coalesce(target / nullif(source_size, 0), 0), 3.0) AS rate FROM t
+), o AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, floor(rate)::BIGINT AS whole, target - floor(rate) * source_size AS need,
+         ('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, ''))[1:13])::BIGINT AS u, r.source
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto FROM o
+), x AS (
+  SELECT source, min(upto) AS upto FROM c WHERE upto >= need AND need > 0 GROUP BY source
+), e AS (
+  SELECT c.source, c.upto, max(c.upto) - sum(c.size) AS before FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source AND c.upto = x.upto GROUP BY ALL
+)
+SELECT c.doc_id, c.size, c.source_size, c.target, copies * c.size AS taken, copies
+FROM (
+  SELECT c.*, c.whole + CASE WHEN whole >= 3 OR need <= 0 THEN 0 WHEN e.upto IS NULL OR c.upto < e.upto THEN 1
+                             WHEN c.upto = e.upto AND e.upto - need < need - e.before THEN 1 ELSE 0 END AS copies
+  FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.source
+) c
+"""
 
 
 OP5_SQL = r"""
@@ -52,4 +110,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op5_quality": OP5_SQL}
