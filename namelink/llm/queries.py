@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash
+from . import fingerprints, mixing, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -40,8 +44,22 @@ def op6_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held = toxicity.held_out(F.col("doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op3_simhash": op3_simhash, "op5_quality": op5_quality, "op6_packing": op6_packing}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_fingerprints": op2_fingerprints,
+        "op3_simhash": op3_simhash,
+        "op5_quality": op5_quality,
+        "op6_packing": op6_packing,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 # Rate, whole copies and the cut as in the operator; the rank is the order of u because a source has one rate.
