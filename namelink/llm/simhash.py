@@ -288,6 +288,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     known = distinct.join(linked, "fp", "left").select(
         "fp", F.when(F.col("_has"), F.col("_linked")).otherwise(F.col("least")).alias("component_id")
     )
+    # Written first: with a plain exchange on either side Spark splits a fingerprint that many copies share.
+    known = materialize(known, "simhash-known")
     return by_doc.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
