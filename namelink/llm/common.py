@@ -98,6 +98,14 @@ def hint_by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Column, bool]:
+    """A key per document, and whether it is the doc_id: where these are unique and not null; else a hash of id and text."""
+    n = docs.select(F.col(doc_id).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    if n.isEmpty():
+        return F.col(doc_id).cast("long"), True
+    return F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))), False
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a long, b long), any order, loops and repeats allowed.
 

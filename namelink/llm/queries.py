@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, simhash, toxicity
+from . import fingerprints, mixing, packing, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
+        "op7_substrings": op7_substrings,
         "op10_toxicity": op10_toxicity,
     }
 

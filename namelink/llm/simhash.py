@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, hint_by_size, keyed, materialize
 
 SEED = 42
 MAX_BITS = 3
@@ -293,3 +293,17 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return by_doc.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the near-duplicates: of each component the document with the smallest id stays, all columns as they were.
+
+    If doc_ids are null or repeated, a hash of id and text takes their place,
+    and of rows equal in both one stays.
+    """
+    key, unique = keyed(docs, text=text)
+    rows = docs.select(key.alias("_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    found = groups(rows.select(F.col("_key").alias("doc_id"), F.col(f"_row.`{text}`").alias("text")))
+    removed = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_removed")).distinct(), "simhash-removed")
+    kept = rows.join(hint_by_size(removed), F.col("_key") == F.col("_removed"), "left_anti")
+    return (kept if unique else kept.dropDuplicates(["_key"])).select("_row.*")
