@@ -143,7 +143,8 @@ def collisions(docs: DataFrame, out: DataFrame, text: str = "text", digits: int
                 [pa.array([n[0] for n in names]), pa.array([n[1] for n in names]), pa.array(made, pa.binary())], ["fp", "control", "form"]
             )
 
-    shared = out.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Written first: with a plain exchange on either side Spark splits a bucket that many copies share.
+    shared = materialize(out.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprint-shared")
     members = materialize(out.join(shared, "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "fingerprint-members")
     texts = docs.join(hint_by_size(members), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     texts = texts.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
