@@ -88,6 +88,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row: later filters and lambdas refer to the value, never to its expression."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs."""
     return df.limit(rows + 1).count() <= rows

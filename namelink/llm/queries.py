@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, simhash, substrings, toxicity
+from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, substrings, toxicity, urls
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     return entries.select(
@@ -48,6 +53,30 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.find(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.render(turns, chat.maximal(turns))
+
+
+URL_RULES = (
+    urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7"), urls.Rule("allow", "net/"), urls.Rule("block", "net/de/"),
+    urls.Rule("block", "example.net/de/8"), urls.Rule("block", "org/es/"),
+)
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """A page shows the document whose number its path names; it is bad if that document's quality label is 0."""
+    number = F.regexp_extract(urls.split_url(F.col("url"))[1], "/([0-9]{1,18})", 1).try_cast("long")
+    bad = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
+    shown = pages.select("page_id", number.alias("_doc")).where("_doc is not null")
+    return shown.join(bad, "_doc").groupBy("page_id").agg(F.max("bad").alias("bad"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, page_labels(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -60,9 +89,12 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op2_fingerprints": op2_fingerprints,
         "op3_simhash": op3_simhash,
+        "op4_licenses": op4_licenses,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op7_substrings": op7_substrings,
+        "op8_chat": op8_chat,
+        "op9_urls": op9_urls,
         "op10_toxicity": op10_toxicity,
     }
 
@@ -132,5 +164,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER w AS k,
+         string_agg(length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, ''), '') OVER w AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '') ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), m AS (
+  SELECT prefix, min(conv_id) AS conv_id, any_value(n) AS n_turns, count(*) AS n_equal FROM t WHERE k = n GROUP BY prefix
+), x AS (
+  SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.k < t.n AND t.prefix = m.prefix)
+)
+SELECT x.conv_id, n_turns, n_equal,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY k) AS text
+FROM x JOIN t ON x.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY ALL
+"""
+
+
+def _op9_sql() -> str:
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r.text))
+    rule = " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{r.text}'" for r in ordered)
+    verdict = " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{r.verdict}'" for r in ordered)
+    level = """, v{k} AS (
+  SELECT {parents}, count(*) >= 20 AND count(*) * 5 > sum(n) AS wild FROM (SELECT {parents}, s{k}, sum(n) AS n FROM h{j} GROUP BY ALL) GROUP BY {parents}
+), h{k} AS (SELECT h{j}.*, CASE WHEN wild AND s{k} <> '' THEN '/*' ELSE s{k} END AS t{k} FROM h{j} JOIN v{k} USING ({parents}))"""
+    levels = "".join(level.format(k=k, j=k - 1, parents=", ".join(["host", *(f"t{i}" for i in range(1, k))])) for k in (1, 2, 3))
+    similar = "power({0}b - {0}l * {0}p, 2) <= 4 * {0}l * {0}p * (1 - {0}p)"
+    return rf"""
+WITH u AS (
+  SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), p AS (
+  SELECT page_id, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host, path, string_split(path, '/') AS f,
+         TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) AS doc FROM u
+), q AS (
+  SELECT page_id, host, path, doc,
+    [coalesce('/' || regexp_replace(regexp_replace(s, '[0-9a-f]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '')
+     FOR s IN [f[2], f[3], CASE WHEN len(f) > 3 THEN array_to_string(f[4:], '/') END]] AS s FROM p
+), g AS (
+  SELECT page_id, max(bad) AS bad FROM q JOIN (SELECT doc_id AS doc, max((quality = 0)::INT) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY ALL) USING (doc) GROUP BY page_id
+), h0 AS (
+  SELECT host, s[1] AS s1, s[2] AS s2, s[3] AS s3, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM q LEFT JOIN g USING (page_id) GROUP BY ALL
+){levels}, m2 AS (
+  SELECT *, t2 || t3 AS leaf, sum(bad) OVER (PARTITION BY host, t1, t2 || t3) AS b, sum(labelled) OVER (PARTITION BY host, t1, t2 || t3) AS l,
+         sum(bad) OVER (PARTITION BY host, t1) / greatest(sum(labelled) OVER (PARTITION BY host, t1), 1) AS p FROM h3
+), m1 AS (
+  SELECT *, CASE WHEN {similar.format("")} THEN '~' ELSE leaf END AS b2, sum(bad) OVER (PARTITION BY host, t1) AS xb, sum(labelled) OVER (PARTITION BY host, t1) AS xl,
+         sum(bad) OVER (PARTITION BY host) / greatest(sum(labelled) OVER (PARTITION BY host), 1) AS xp FROM m2
+), m0 AS (
+  SELECT *, CASE WHEN {similar.format("x")} THEN '~' ELSE t1 END AS b1,
+         (sum(bad) OVER (PARTITION BY host) + 10 * ((sum(bad) OVER () + 1) / (sum(labelled) OVER () + 2))) / (sum(labelled) OVER (PARTITION BY host) + 10) AS hp FROM m1
+), z AS (
+  SELECT host, s1, s2, s3, host || b1 || b2 AS template,
+         round((sum(bad) OVER (PARTITION BY host, b1, b2) + 10 * hp) / (sum(labelled) OVER (PARTITION BY host, b1, b2) + 10), 6) AS purity FROM m0
+)
+SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM q JOIN z USING (host) WHERE z.s1 = s[1] AND z.s2 = s[2] AND z.s3 = s[3]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op5_quality": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op5_quality": OP5_SQL, "op8_chat": OP8_SQL, "op9_urls": _op9_sql()}
