@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let
+from .common import SPACE_CLASS, let, once
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -104,24 +104,21 @@ def repeated_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row of measurements per document, with the columns named in ``keep``."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(
-        *keep,
-        F.length(t).alias("_chars"),
-        F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
-        F.length(F.translate(t, SYMBOLS, "")).alias("_plain"),
-        F.array_remove(F.split(t, f"[{SPACE_CLASS}]+"), "").alias("_words"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")).alias("_lines"),
-    )
-    return split.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
-        (F.col("_chars") - F.col("_plain")).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    split = once(
+        docs.select(*keep, t.alias("_text")),
+        _words=F.array_remove(F.split("_text", f"[{SPACE_CLASS}]+"), ""),
+        _lines=F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")),
     )
+    return once(
+        split,
+        n_words=F.size("_words").cast("long"),
+        word_chars=F.length(F.translate("_text", WHITE, "")).cast("long"),
+        n_symbols=(F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+        n_lines=F.size("_lines").cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_repeat_words=repeated_words(F.col("_words")),
+    ).drop("_text", "_words", "_lines")
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
