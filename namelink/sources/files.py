@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -62,12 +62,19 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("original").agg(F.max_by("canonical", "row").alias("canonical"))
 
 
-def repair_mojibake(column: str) -> F.Column:
+def _windows_1252() -> tuple[str, str]:
+    """Characters of windows-1252 that Latin-1 lacks, and the Latin-1 characters of the same bytes."""
+    pairs = [(bytes([b]).decode("cp1252", "ignore"), chr(b)) for b in range(0x80, 0xA0)]
+    return "".join(a for a, _ in pairs if a), "".join(b for a, b in pairs if a)
+
+
+def repair_mojibake(column: str) -> Column:
     """Text whose UTF-8 bytes were once read as windows-1252, read right; unchanged where that is not possible."""
-    original = F.encode(F.col(column), "windows-1252")
-    fixed = F.try_validate_utf8(original.cast("string"))
-    lossless = F.decode(original, "windows-1252") == F.col(column)
-    return F.when(lossless, F.coalesce(fixed, F.col(column))).otherwise(F.col(column))
+    wide, narrow = _windows_1252()
+    latin = F.translate(F.col(column), wide, narrow)
+    fits = ~latin.rlike(r"[^\x{0}-\x{FF}]")
+    fixed = F.try_validate_utf8(F.encode(F.when(fits, latin), "ISO-8859-1").cast("string"))
+    return F.coalesce(fixed, F.col(column))
 
 
 def write_mappings(mappings: DataFrame, path: str) -> None:
