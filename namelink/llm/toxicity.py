@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 ORDERS = (3, 4, 5)
 BITS = 18
-MAX_TRAINING = 6000
+MAX_TRAINING = 10_000
 MIN_DOCUMENTS = 4
 EPOCHS = 8
 RATE = 0.05
