@@ -122,6 +122,10 @@ def thousands(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
+def display_time(timestamp: Column) -> Column:
+    return F.date_format(timestamp, "yyyy-MM-dd HH:mm")
+
+
 def to_distance(threshold: Column) -> Column:
     """Similarity threshold (a share, or a percentage above 1) as a distance."""
     return 1 - F.when(threshold > 1, threshold / 100).otherwise(threshold)

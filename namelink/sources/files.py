@@ -14,12 +14,17 @@ MISSING = (
 )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header, all columns as text in UTF-8; ValueError for other encodings, empty files and unreadable rows."""
-    head = spark.read.format("binaryFile").load(path).select("length").limit(1).collect()
-    if not head or head[0]["length"] == 0:
+def read_csv(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """A CSV file with header, all columns as text in UTF-8.
+
+    ValueError for other encodings, empty files, files above ``max_bytes`` and unreadable rows.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if not size:
         raise ValueError("CSV file is empty")
-    if not spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty():
+    if max_bytes is not None and size > max_bytes:
+        raise ValueError(f"CSV file has more than {max_bytes} bytes")
+    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
         raise ValueError("CSV file is not UTF-8")
     try:
         df = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", quote='"', escape='"', multiLine=True, mode="FAILFAST")
@@ -40,11 +45,11 @@ def names_of(df: DataFrame, column: str | None = None) -> DataFrame:
     return rows.groupBy("name").agg(F.min("row").alias("ord")).select("ord", "name")
 
 
-def read_names(spark: SparkSession, path: str) -> DataFrame:
+def read_names(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Names of a CSV file; ValueError if it holds none."""
     if not path.lower().endswith(".csv"):
         raise ValueError("only .csv files are accepted")
-    names = names_of(read_csv(spark, path))
+    names = names_of(read_csv(spark, path, max_bytes))
     if names.isEmpty():
         raise ValueError("no names in the first column")
     return names

@@ -113,3 +113,25 @@ def test_display(spark):
     assert column(spark, [0.1234], text.percent, "double") == ["12.3%"] and column(spark, [1234567], text.thousands, "long") == ["1,234,567"]
     assert column(spark, ["a.CSV", "a.txt"], lambda c: text.has_extension(c, ".csv")) == [True, False]
     assert column(spark, ['x ```json {"a": 1} ``` y', "```{}```", " {} "], text.fenced_json) == ['{"a": 1}', "{}", "{}"]
+
+
+# Recorded scores (weighted ratio, token set ratio, phonetic bonus) of name pairs.
+RECORDED = [
+    ("adobe", "adobe rent a car", 90.0, 100.0, 4.0), ("american general insurance", "american family insurance", 82.352941, 83.72093, 4.0),
+    ("united", "united parcel service", 90.0, 100.0, 4.0), ("american express", "american", 90.0, 100.0, 4.0), ("delta air", "delta community credit union", 85.5, 71.428571, -2.0),
+    ("united parcel service", "united rentals", 85.5, 62.857143, -2.0), ("delta airlines", "delta community credit union", 85.5, 52.631579, -2.0),
+    ("delta air lines", "delta community credit union", 85.5, 51.162791, -2.0), ("american express", "american airlines", 72.727273, 72.727273, -2.0),
+    ("american express", "american family insurance", 85.5, 66.666667, -2.0), ("american airlines", "american telephone and telegraph", 85.5, 64.0, -2.0),
+    ("united airlines", "united parcel service", 66.666667, 66.666667, -2.0), ("american airlines", "american general insurance", 85.5, 65.116279, -2.0),
+    ("dhl", "dell", 57.142857, 57.142857, 4.0), ("general electric", "general dynamics", 62.5, 62.5, -2.0), ("general mills", "general dynamics", 75.862069, 75.862069, -2.0),
+    ("united parcel service", "united healthcare", 57.894737, 57.894737, -2.0), ("adobe systems", "adobe rent a car", 52.777778, 55.555556, -2.0),
+    ("dhl express", "dell", 51.428571, 26.666667, 4.0), ("dhl logistics", "dell", 51.428571, 35.294118, 4.0),
+    ("american telephone and telegraph", "american family insurance", 50.0, 52.631579, -2.0),
+]
+
+
+def test_recorded_scores(spark):
+    frame = spark.createDataFrame([(a, b, a.split(), b.split(), w, t, p) for a, b, w, t, p in RECORDED], "a string, b string, x array<string>, y array<string>, w double, t double, p double")
+    got = frame.withColumn("s", similarity.text_scores("a", "b")).withColumn("bonus", phonetic.bonus(phonetic.codes("x"), phonetic.codes("y")))
+    for r in got.collect():
+        assert abs(r.s.wratio - r.w) < 1e-5 and abs(r.s.token_set - r.t) < 1e-5 and r.bonus == r.p, (r.a, r.b)
