@@ -209,7 +209,7 @@ def test_files(spark, tmp_path):
     mapped = spark.createDataFrame([('A "q"', "A", 0.98765, 0)], "original_name string, canonical_name string, confidence_score double, group_id int")
     files.write_mappings(mapped, str(tmp_path / "out"))
     lines = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*.csv")).splitlines()
-    assert lines[1] == '"A ""q""","A","0.988","0"'
+    assert '"A ""q""","A","0.988","0"' in lines
     (tmp_path / "report.txt").write_text("TESTING: one\nGroup 1\n  Canonical: Acme\n  - Acme Inc  98.5%\n  - Acme\nGroup 2\n  Canonical: B\n  - B  100%\n")
     rows = files.read_report(spark, str(tmp_path / "report.txt")).collect()
     assert [(r.test, r.grp, r.canonical, r.member, r.share) for r in rows] == [("one", 1, "Acme", "Acme Inc", 0.985), ("one", 1, "Acme", "Acme", None), ("one", 2, "B", "B", 1.0)]
