@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import scoring, text
-from ..operators import blocking, calibrate, clustering, pairs, review
+from ..operators import blocking, calibrate, clustering, graph, pairs, review
 from .tables import written
 
-SLACK = 1e-9
-
 
 @dataclass
 class Resolution:
@@ -56,10 +54,11 @@ def resolve(names: DataFrame, cfg: Config = Config(), vectors: DataFrame | None
         accepted = by_form.where(scoring.same_group(F.col("score"), F.col("phonetic_agree"), thresholds) & (F.col("x") != F.col("y")))
         found = clustering.leader_clusters(nodes, accepted.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     else:
-        reachable = cfg.redistribute_weights or vectors is not None or _text_only_best(cfg) >= cfg.similarity_threshold
-        scored = written(pairs.all_pairs(forms, cfg, cfg.similarity_threshold).select("a_ord", "b_ord", "score"), "similar") if reachable else None
-        links = pairs.edges(scored, cfg.similarity_threshold) if scored is not None else nodes.select(F.col("ord").alias("a"), F.col("ord").alias("b")).limit(0)
-        found = clustering.leader_clusters(nodes, links)
+        if cfg.redistribute_weights or vectors is not None or _text_only_best(cfg) >= cfg.similarity_threshold:
+            scored = written(pairs.all_pairs(forms, cfg, cfg.similarity_threshold).select("a_ord", "b_ord", "score"), "similar")
+            found = clustering.leader_clusters(nodes, pairs.edges(scored, cfg.similarity_threshold))
+        else:  # no two forms can reach the threshold: each is a group
+            found = graph.numbered(nodes.withColumn("leader", F.col("ord")), "leader").select("ord", "group_id")
     by_norm = forms.select("norm", "ord").join(found, "ord").select("norm", "group_id")
     members = written(attributed.select("ord", "name", "norm").join(by_norm, "norm").select("ord", "name", "group_id"), "members")
     mapped = _mapped(members, attributed, cfg, thresholds, mixture, reviewed)
