@@ -224,3 +224,15 @@ def test_stream(spark, tmp_path):
     query = incremental.assign(stream, known).writeStream.format("memory").queryName("assigned").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select * from assigned where group_id = 0").count() == 3 and spark.table("assigned").count() == 10
+
+
+def test_tables_are_released(spark):
+    from namelink.plans import tables
+
+    df = tables.written(spark.range(5), "t")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert df.count() == 5 and os.path.isdir(folder)
+    tables.release(spark)
+    assert not os.path.isdir(folder)
