@@ -418,6 +418,17 @@ def q_set_operations(spark, d):
     return out
 
 
+def q_set_operations_all(spark, d):
+    """The same set sizes over every vector, from contingency counts instead of pairs."""
+    cells = labelled_groups(spark, d).groupBy("group_id", "truth").agg(F.count("*").alias("n"))
+    pairs_of = lambda df: df.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("n"))
+    side = lambda k: pairs_of(cells.where(F.col(k).isNotNull()).groupBy(k).agg(F.sum("n").alias("n")))
+    both = pairs_of(cells.dropna(subset=["group_id", "truth"])).withColumnRenamed("n", "both")
+    counted = both.crossJoin(side("group_id").withColumnRenamed("n", "p")).crossJoin(side("truth").withColumnRenamed("n", "t"))
+    kinds = {"both": F.col("both"), "only_predicted": F.col("p") - F.col("both"), "only_true": F.col("t") - F.col("both"), "either": F.col("p") + F.col("t") - F.col("both")}
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("n")) for k, v in kinds.items()])).alias("x")).select("x.kind", "x.n")
+
+
 def q_json(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     body = F.concat(F.lit('{"decision": "same", "confidence": 0.'), F.col("id") % 10, F.lit(', "reasoning": "r"}'))

@@ -27,3 +27,11 @@ def test_equals_sql(spark, sf, name):
 def test_entry_points(spark):
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).count() > 0
+
+
+def test_set_operations_over_all_vectors(spark, sf):
+    rows = queries.labelled_groups(spark, sf).collect()
+    pairs_by = lambda k: {(a["ord"], b["ord"]) for a in rows for b in rows if a["ord"] < b["ord"] and a[k] == b[k] and a[k] is not None}
+    p, t = pairs_by("group_id"), pairs_by("truth")
+    got = {r.kind: r.n for r in queries.queries()["set_operations_all"](spark, sf).collect()}
+    assert len(rows) > 200 and got == {"both": len(p & t), "only_predicted": len(p - t), "only_true": len(t - p), "either": len(p | t)}
