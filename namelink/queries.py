@@ -89,6 +89,11 @@ def q_fold(spark, d):
     return docs.select("doc_id", F.lower(text.fold(F.regexp_replace("text", "[^a-zA-Zàâçéèêëîïôûùüñíóúá ]", ""))).alias("folded"))
 
 
+def q_fold_all(spark, d):
+    """The whole text of every document, transliterated."""
+    return table(spark, d, "documents").select("doc_id", F.lower(text.fold(F.col("text"))).alias("folded"))
+
+
 def q_blocking_token(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("The "), "s_name").alias("name"))
     both = part_names(spark, d).union(s.select(F.col("ord") + 1_000_000_000, "name"))

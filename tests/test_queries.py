@@ -1,4 +1,5 @@
 import os
+import unicodedata
 
 import __spark_entry__ as entry_points
 import duckdb
@@ -35,3 +36,20 @@ def test_set_operations_over_all_vectors(spark, sf):
     p, t = pairs_by("group_id"), pairs_by("truth")
     got = {r.kind: r.n for r in queries.queries()["set_operations_all"](spark, sf).collect()}
     assert len(rows) > 200 and got == {"both": len(p & t), "only_predicted": len(p - t), "only_true": len(t - p), "either": len(p | t)}
+
+
+def test_fold_of_every_document(spark, sf, tmp_path):
+    several = {"ß": "ss", "æ": "ae", "œ": "oe", "ж": "zh", "щ": "shch", "ю": "iu", "λ": "l", "д": "d", "о": "o", "м": "m", "ø": "o"}
+
+    def plain(t):
+        out = []
+        for c in t:
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            out.append(several.get(c.lower()) or several.get(base.lower()) or (base if base.isascii() else c))
+        return "".join(out).lower()
+
+    rows = [(1, "de", "Übergröße 12, Äpfel!\nÖl"), (2, "en", "ŒUVRE Æther naïve É"), (3, "ru", "Дом ЖЩЮ λ Øre"), (4, "fr", "été 3: où?"), (5, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), sf):
+        want = {r.doc_id: None if r.text is None else plain(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        assert {r.doc_id: r.folded for r in queries.queries()["fold_all"](spark, d).collect()} == want
