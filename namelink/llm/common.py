@@ -103,12 +103,30 @@ def hint_by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Column, bool]:
-    """A key per document, and whether it is the doc_id: where these are unique and not null; else a hash of id and text."""
-    n = docs.select(F.col(doc_id).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
-    if n.isEmpty():
-        return F.col(doc_id).cast("long"), True
-    return F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))), False
+#: The column that ``keyed`` adds.
+KEY = "_namelink_key"
+#: Keys from here on are not doc_ids.
+OWN_KEYS = 1 << 62
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``KEY``, one per distinct document: its doc_id, if no other row has it (doc_ids are below 2^62).
+
+    Rows without a doc_id, or whose doc_id other rows have too, get a hash of id
+    and text above all doc_ids; so what one row holds never changes another's key.
+    """
+    id_ = F.col(doc_id).cast("long")
+    own = F.xxhash64(id_.cast("string"), F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.lit(OWN_KEYS - 1)).bitwiseOR(F.lit(OWN_KEYS))
+    shared = docs.where(id_.isNotNull()).groupBy(id_.alias("_shared")).agg(F.count("*").alias("_n")).where("_n > 1").select("_shared")
+    if shared.isEmpty():
+        return docs.withColumn(KEY, F.coalesce(id_, own))
+    shared = materialize(shared, "shared-ids")
+    return docs.join(hint_by_size(shared), id_ == F.col("_shared"), "left").withColumn(KEY, F.when(F.col("_shared").isNull(), F.coalesce(id_, own)).otherwise(own)).drop("_shared")
+
+
+def own_keys(key: str) -> Column:
+    """Whether a key is not a doc_id."""
+    return F.col(key) >= OWN_KEYS
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hint_by_size, keyed, materialize
+from .common import KEY, components, hint_by_size, keyed, materialize, own_keys
 
 SEED = 42
 MAX_BITS = 3
@@ -298,12 +298,16 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the near-duplicates: of each component the document with the smallest id stays, all columns as they were.
 
-    If doc_ids are null or repeated, a hash of id and text takes their place,
-    and of rows equal in both one stays.
+    Rows without a doc_id, or whose doc_id other rows have too, go by a hash of id
+    and text (``keyed``), and of rows equal in both one stays.
     """
-    key, unique = keyed(docs, text=text)
-    rows = docs.select(key.alias("_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    found = groups(rows.select(F.col("_key").alias("doc_id"), F.col(f"_row.`{text}`").alias("text")))
+    known = keyed(docs, text=text)
+    rows = known.select(KEY, F.struct(*[known[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    found = groups(rows.select(F.col(KEY).alias("doc_id"), F.col(f"_row.`{text}`").alias("text")))
     removed = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_removed")).distinct(), "simhash-removed")
-    kept = rows.join(hint_by_size(removed), F.col("_key") == F.col("_removed"), "left_anti")
-    return (kept if unique else kept.dropDuplicates(["_key"])).select("_row.*")
+    kept = rows.join(hint_by_size(removed), F.col(KEY) == F.col("_removed"), "left_anti")
+    others = kept.where(own_keys(KEY))
+    if others.isEmpty():
+        return kept.select("_row.*")
+    equal = others.select(KEY, "_row", F.col(f"_row.`{text}`").alias("_text"), F.col("_row.doc_id").alias("_id")).dropDuplicates([KEY, "_text", "_id"])
+    return kept.where(~own_keys(KEY)).select("_row").union(equal.select("_row")).select("_row.*")
