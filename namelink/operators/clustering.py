@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.tables import written
 from .graph import components, leaders, numbered
 
 
@@ -92,8 +93,9 @@ def hierarchical(nodes: DataFrame, similarities: DataFrame, threshold: float, me
     apart than a component can be; a missing pair has distance 1.  ``nodes`` may
     have n_names: a node then weighs as that many equal names.  Merges below the
     cut never cross components of {distance <= threshold}, so each is clustered
-    on its own; its matrix must fit in one task.
+    on its own; its matrix must fit in one task.  ``similarities`` is written once.
     """
+    similarities = written(similarities.select("a_ord", "b_ord", "score"), "similarities")
     close = similarities.where(1 - F.col("score") <= threshold + 1e-12).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
     found = components(nodes, close)
     if method == "single":

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import phonetic, scoring, text
 from ..functions.similarity import text_scores
-from ..plans.tables import written
 
 #: Pairs per task of the scoring function.
 PAIRS_PER_TASK = 200_000
+#: Vectors per tile: a task holds two tiles and their products.
+VECTORS_PER_TILE = 512
 
 
 def attributes(names: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None) -> DataFrame:
@@ -85,16 +88,15 @@ def all_pairs(forms: DataFrame, cfg: Config = Config(), least: float = 0.0) -> D
     The forms are cut into blocks and the block pairs are dealt out as keys, so
     the comparison is spread over all tasks; nothing is broadcast.
     """
-    slim = forms.select("ord", "norm", "phon", "embedding")
+    columns = ("ord", "norm", "phon", "embedding")
+    slim = forms.select(*columns)
     n = max(1, int((slim.count() ** 2 / 2 / PAIRS_PER_TASK) ** 0.5) + 1)
     tiled = slim.withColumn("tile", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    side = lambda s, key: tiled.select(
-        F.explode(F.transform(others, key)).alias("t"), *[F.col(c).alias(f"{s}_{c}") for c in ("ord", "norm", "phon", "embedding")], F.col("tile").alias(f"{s}_tile")
-    ).select("t.*", *[f"{s}_{c}" for c in ("ord", "norm", "phon", "embedding")])
-    a = side("a", lambda k: F.struct(F.col("tile").alias("i"), k.alias("j")))
-    b = side("b", lambda k: F.struct(k.alias("i"), F.col("tile").alias("j")))
-    return _scored(a.join(b, ["i", "j"]).where("a_ord < b_ord").drop("i", "j"), cfg, least)
+    a = tiled.select(F.col("tile").alias("i"), F.explode(F.sequence("tile", F.lit(n - 1))).alias("j"), F.struct(*columns).alias("a"))
+    b = tiled.select(F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"), F.struct(*columns).alias("b"))
+    met = a.join(b, ["i", "j"]).where("i < j or a.ord < b.ord").withColumn("turned", F.col("a.ord") > F.col("b.ord"))
+    turned = met.select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    return _scored(turned.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in columns]), cfg, least)
 
 
 def edges(scored: DataFrame, threshold: float, how: Column | None = None) -> DataFrame:
@@ -102,12 +104,35 @@ def edges(scored: DataFrame, threshold: float, how: Column | None = None) -> Dat
     return scored.where(F.col("score") >= threshold if how is None else how).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
 
 
-def similar_vectors(items: DataFrame, threshold: float) -> DataFrame:
-    """(a_ord, b_ord, score) of ``items`` (ord, embedding) whose cosine is at least ``threshold``, as tiles of all pairs."""
-    units = written(items.select("ord", scoring.unit(F.col("embedding")).alias("embedding")), "units")
-    n = max(1, int((units.count() ** 2 / 2 / PAIRS_PER_TASK) ** 0.5) + 1)
-    tiled = units.withColumn("tile", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    a = tiled.select(F.col("tile").alias("i"), F.col("k").alias("j"), F.col("ord").alias("a_ord"), F.col("embedding").alias("x"))
-    b = tiled.select(F.col("k").alias("i"), F.col("tile").alias("j"), F.col("ord").alias("b_ord"), F.col("embedding").alias("y"))
-    pairs = a.join(b, ["i", "j"]).where("a_ord < b_ord").select("a_ord", "b_ord", scoring.clamp(scoring.dot(F.col("x"), F.col("y"))).alias("score"))
-    return pairs.where(F.col("score") >= threshold)
+def similar_vectors(items: DataFrame, threshold: float, rows: int = VECTORS_PER_TILE) -> DataFrame:
+    """(a_ord, b_ord, score) of ``items`` (ord, embedding) whose cosine is at least ``threshold``, a_ord < b_ord.
+
+    All pairs by definition: the vectors are cut into tiles and each pair of tiles
+    is one matrix product of bounded size; only pairs that reach the threshold leave it.
+    """
+    slim = items.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    n = max(1, -(-slim.count() // rows))
+    tiled = slim.withColumn("tile", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = tiled.select(F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "ord", "embedding")
+
+    def product(table: pa.Table) -> pa.Table:
+        tile, ord_ = (table[c].to_numpy() for c in ("tile", "ord"))
+        # Null and empty vectors have no length; they count as zero.
+        wide = max((len(v) for v in table["embedding"].to_pylist() if v), default=0)
+        x = np.zeros((table.num_rows, wide))
+        for at, v in enumerate(table["embedding"].to_pylist()):
+            if v:
+                x[at, : len(v)] = v
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        first = tile == table["i"][0].as_py() if table.num_rows else np.zeros(0, bool)
+        last = tile == table["j"][0].as_py() if table.num_rows else first
+        score = np.clip(x[first] @ x[last].T, 0.0, 1.0)
+        a, b = np.nonzero(score >= threshold)
+        one, other, value = ord_[first][a], ord_[last][b], score[a, b]
+        keep = one < other if (first & last).any() else one != other
+        one, other, value = one[keep], other[keep], value[keep]
+        return pa.table({"a_ord": np.minimum(one, other), "b_ord": np.maximum(one, other), "score": value})
+
+    kind = dict(items.dtypes)["ord"]
+    return dealt.groupBy("i", "j").applyInArrow(product, f"a_ord {kind}, b_ord {kind}, score double")

@@ -85,11 +85,6 @@ def q_normalize(spark, d):
 
 
 def q_fold(spark, d):
-    docs = table(spark, d, "documents").where("lang in ('fr', 'es')")
-    return docs.select("doc_id", F.lower(text.fold(F.regexp_replace("text", "[^a-zA-Zàâçéèêëîïôûùüñíóúá ]", ""))).alias("folded"))
-
-
-def q_fold_all(spark, d):
     """The whole text of every document, transliterated."""
     return table(spark, d, "documents").select("doc_id", F.lower(text.fold(F.col("text"))).alias("folded"))
 
@@ -214,10 +209,10 @@ def q_percentiles(spark, d):
 
 
 def q_indel(spark, d):
-    """Indel ratio of all suppliers' names with the first twenty customers': a stated query set."""
-    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.lower("n_name").alias("x"), F.lit(1).alias("one"))
-    b = table(spark, d, "region").select(F.col("r_regionkey").alias("b"), F.lower("r_name").alias("y"), F.lit(1).alias("one"))
-    return a.join(b, "one").select("a", "b", _r(similarity.indel_ratio("x", "y")).alias("ratio"))
+    """Indel ratio of every supplier's name with its nation's name."""
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.lower("s_name").alias("x"), F.col("s_nationkey").alias("b"))
+    b = table(spark, d, "nation").select(F.col("n_nationkey").alias("b"), F.lower("n_name").alias("y"))
+    return a.join(b, "b").select("a", "b", _r(similarity.indel_ratio("x", "y")).alias("ratio"))
 
 
 def q_text_scores(spark, d):
@@ -410,21 +405,7 @@ def q_text_filter(spark, d):
 
 
 def q_set_operations(spark, d):
-    """Intersection, differences and union of predicted and true pairs, counted."""
-    g = labelled_groups(spark, d).where("ord < 200")
-    side = lambda s, k: g.select(F.col(k).alias("k"), F.col("ord").alias(s))
-    by = lambda k: side("a", k).join(side("b", k), "k").where("a < b").select("a", "b")
-    p, t = written(by("group_id"), "predicted"), written(by("truth"), "true")
-    kinds = {"both": p.intersect(t), "only_predicted": p.subtract(t), "only_true": t.subtract(p), "either": p.union(t).distinct()}
-    counted = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in kinds.items()]
-    out = counted[0]
-    for c in counted[1:]:
-        out = out.union(c)
-    return out
-
-
-def q_set_operations_all(spark, d):
-    """The same set sizes over every vector, from contingency counts instead of pairs."""
+    """Sizes of intersection, differences and union of predicted and true pairs, over every vector, from contingency counts instead of pairs."""
     cells = labelled_groups(spark, d).groupBy("group_id", "truth").agg(F.count("*").alias("n"))
     pairs_of = lambda df: df.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("n"))
     side = lambda k: pairs_of(cells.where(F.col(k).isNotNull()).groupBy(k).agg(F.sum("n").alias("n")))

@@ -75,7 +75,7 @@ _RATES = """counted AS (SELECT tp, p - tp AS fp, t - tp AS fn, m * (m - 1) // 2
   SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS re FROM counted)
 SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall,
        round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM rated"""
-_LCS = """WITH RECURSIVE p AS (SELECT n_nationkey AS a, lower(n_name) AS x, r_regionkey AS b, lower(r_name) AS y FROM nation, region),
+_LCS = """WITH RECURSIVE p AS (SELECT s_suppkey AS a, lower(s_name) AS x, n_nationkey AS b, lower(n_name) AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 t AS (
   SELECT a, b, x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda k: 0) AS row FROM p
   UNION ALL
@@ -86,7 +86,7 @@ SELECT a, b, round(200.0 * row[len(row)] / (length(x) + length(y)), 6) AS ratio
 SQL = {
     "extract": "SELECT min(p_partkey) AS ord, p_name AS name FROM part GROUP BY p_name",
     "normalize": f"WITH {NORMED} SELECT ord, name, norm FROM normed",
-    "fold": "SELECT doc_id, lower(strip_accents(regexp_replace(text, '[^a-zA-Zàâçéèêëîïôûùüñíóúá ]', '', 'g'))) AS folded FROM documents WHERE lang IN ('fr', 'es')",
+    "fold": "SELECT doc_id, lower(strip_accents(replace(text, 'ß', 'ss'))) AS folded FROM documents",
     "blocking_token": f"""WITH {NORMED}, e AS (
       SELECT ord, plain AS form FROM normed UNION ALL SELECT s_suppkey + 1000000000, trim(regexp_replace(regexp_replace(lower('The ' || s_name), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) FROM supplier
     ), k AS (SELECT *, coalesce(list_filter(string_split(form, ' '), lambda w: w NOT IN ('the', 'a', 'an') AND w <> '')[1], '') AS token FROM e)
@@ -181,7 +181,7 @@ SQL = {
     "three_bins": f"WITH {SCORES} SELECT count(*) FILTER (score >= 0.9) AS high, count(*) FILTER (score >= 0.7 AND score < 0.9) AS middle, count(*) FILTER (score < 0.7) AS low, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean FROM s",
     "spread": f"""WITH {SCORES} SELECT (id % 400)::INT AS group_id, count(*) AS n, round(max(score) - min(score), 6) AS spread FROM s GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, spread DESC, group_id LIMIT 25""",
     "text_filter": f"WITH {NAMES} SELECT ord, name FROM names WHERE contains(lower(name), 'an')",
-    "set_operations": f"""WITH {LABELLED}, l AS (SELECT * FROM labelled WHERE ord < 200), p AS (SELECT a.ord AS a, b.ord AS b FROM l a JOIN l b ON a.group_id = b.group_id AND a.ord < b.ord), t AS (SELECT a.ord AS a, b.ord AS b FROM l a JOIN l b ON a.truth = b.truth AND a.ord < b.ord)
+    "set_operations": f"""WITH {LABELLED}, l AS (SELECT * FROM labelled), p AS (SELECT a.ord AS a, b.ord AS b FROM l a JOIN l b ON a.group_id = b.group_id AND a.ord < b.ord), t AS (SELECT a.ord AS a, b.ord AS b FROM l a JOIN l b ON a.truth = b.truth AND a.ord < b.ord)
       SELECT 'both' AS kind, count(*) AS n FROM (FROM p INTERSECT FROM t) UNION ALL SELECT 'only_predicted', count(*) FROM (FROM p EXCEPT FROM t) UNION ALL SELECT 'only_true', count(*) FROM (FROM t EXCEPT FROM p) UNION ALL SELECT 'either', count(*) FROM (FROM p UNION FROM t)""",
     "json": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 3 THEN 'same' END AS decision, CASE WHEN o_orderkey % 4 < 3 THEN (o_orderkey % 10)::DOUBLE / 10 END AS confidence, CASE WHEN o_orderkey % 4 < 3 THEN 'r' END AS reasoning FROM orders",
     "resolve": f"""WITH {CANON}, o AS (SELECT group_id, string_agg(x.name, '|' ORDER BY x.ord) AS others FROM grouped x JOIN best USING (group_id) WHERE x.ord <> canonical_ord GROUP BY group_id)

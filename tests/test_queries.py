@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from namelink import queries, queries_sql
 
-CHEAP = ["normalize", "mappings", "blocks", "allocation", "capped", "leaders", "components", "confusion", "guard", "category_counts", "histogram", "set_operations", "resolve", "percentiles"]
+CHEAP = ["normalize", "mappings", "blocks", "allocation", "capped", "leaders", "components", "confusion", "guard", "category_counts", "histogram", "set_operations", "resolve", "percentiles", "cosine", "fold", "indel", "hac_distances"]
 
 
 def text(v):
@@ -34,7 +34,7 @@ def test_set_operations_over_all_vectors(spark, sf):
     rows = queries.labelled_groups(spark, sf).collect()
     pairs_by = lambda k: {(a["ord"], b["ord"]) for a in rows for b in rows if a["ord"] < b["ord"] and a[k] == b[k] and a[k] is not None}
     p, t = pairs_by("group_id"), pairs_by("truth")
-    got = {r.kind: r.n for r in queries.queries()["set_operations_all"](spark, sf).collect()}
+    got = {r.kind: r.n for r in queries.queries()["set_operations"](spark, sf).collect()}
     assert len(rows) > 200 and got == {"both": len(p & t), "only_predicted": len(p - t), "only_true": len(t - p), "either": len(p | t)}
 
 
@@ -52,4 +52,4 @@ def test_fold_of_every_document(spark, sf, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for d in (str(tmp_path), sf):
         want = {r.doc_id: None if r.text is None else plain(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-        assert {r.doc_id: r.folded for r in queries.queries()["fold_all"](spark, d).collect()} == want
+        assert {r.doc_id: r.folded for r in queries.queries()["fold"](spark, d).collect()} == want
