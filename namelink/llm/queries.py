@@ -59,8 +59,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_RULES = (
-    urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7"), urls.Rule("allow", "net/"), urls.Rule("block", "net/de/"),
-    urls.Rule("block", "example.net/de/8"), urls.Rule("block", "org/es/"),
+    urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7"), urls.Rule("allow", "net/de/"), urls.Rule("block", "example.net/de/8"),
+    urls.Rule("block", "org/es/"),
 )
 
 
@@ -188,10 +188,18 @@ def _op9_sql() -> str:
     rule = " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{r.text}'" for r in ordered)
     verdict = " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{r.verdict}'" for r in ordered)
     level = """, v{k} AS (
-  SELECT {parents}, count(*) >= 20 AND count(*) * 5 > sum(n) AS wild FROM (SELECT {parents}, s{k}, sum(n) AS n FROM h{j} GROUP BY ALL) GROUP BY {parents}
-), h{k} AS (SELECT h{j}.*, CASE WHEN wild AND s{k} <> '' THEN '/*' ELSE s{k} END AS t{k} FROM h{j} JOIN v{k} USING ({parents}))"""
+  SELECT {parents}, count(*) >= 20 AND count(*) * 5 > sum(n) AS wild FROM (SELECT {parents}, s{k}, sum(n) AS n FROM h{j} WHERE s{k} <> '' GROUP BY ALL) GROUP BY {parents}
+), h{k} AS (SELECT h{j}.*, CASE WHEN wild AND s{k} <> '' THEN '/*' ELSE s{k} END AS t{k} FROM h{j} LEFT JOIN v{k} USING ({parents}))"""
     levels = "".join(level.format(k=k, j=k - 1, parents=", ".join(["host", *(f"t{i}" for i in range(1, k))])) for k in (1, 2, 3))
-    similar = "power({0}b - {0}l * {0}p, 2) <= 4 * {0}l * {0}p * (1 - {0}p)"
+    # The tables' paths have at most three segments, so three levels, deepest first, are the whole tree.
+    merge = """, g{k} AS (
+  SELECT *, sum(bad) OVER (PARTITION BY {parents}, t{k} || m{j}) AS b{k}, sum(labelled) OVER (PARTITION BY {parents}, t{k} || m{j}) AS l{k},
+         sum(bad) OVER (PARTITION BY {parents}) / greatest(sum(labelled) OVER (PARTITION BY {parents}), 1) AS p{k} FROM {source}
+), n{k} AS (SELECT *, CASE WHEN {above} THEN '' WHEN max(t{k} || m{j}) OVER (PARTITION BY {parents}) <> '' AND power(b{k} - l{k} * p{k}, 2) <= 4 * l{k} * p{k} * (1 - p{k}) THEN '~' ELSE t{k} || m{j} END AS m{k} FROM g{k})"""
+    merges = "".join(
+        merge.format(k=k, j=k + 1, parents=", ".join(["host", *(f"t{i}" for i in range(1, k))]), source="e0" if k == 3 else f"n{k + 1}", above=f"t{k - 1} = ''" if k > 1 else "false")
+        for k in (3, 2, 1)
+    )
     return rf"""
 WITH u AS (
   SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
@@ -200,24 +208,16 @@ WITH u AS (
          TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) AS doc FROM u
 ), q AS (
   SELECT page_id, host, path, doc,
-    [coalesce('/' || regexp_replace(regexp_replace(s, '[0-9a-f]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '')
+    [coalesce('/' || regexp_replace(regexp_replace(s, '\b[0-9a-f]{{12,}}\b', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '')
      FOR s IN [f[2], f[3], CASE WHEN len(f) > 3 THEN array_to_string(f[4:], '/') END]] AS s FROM p
 ), g AS (
   SELECT page_id, max(bad) AS bad FROM q JOIN (SELECT doc_id AS doc, max((quality = 0)::INT) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY ALL) USING (doc) GROUP BY page_id
 ), h0 AS (
   SELECT host, s[1] AS s1, s[2] AS s2, s[3] AS s3, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM q LEFT JOIN g USING (page_id) GROUP BY ALL
-){levels}, m2 AS (
-  SELECT *, t2 || t3 AS leaf, sum(bad) OVER (PARTITION BY host, t1, t2 || t3) AS b, sum(labelled) OVER (PARTITION BY host, t1, t2 || t3) AS l,
-         sum(bad) OVER (PARTITION BY host, t1) / greatest(sum(labelled) OVER (PARTITION BY host, t1), 1) AS p FROM h3
-), m1 AS (
-  SELECT *, CASE WHEN {similar.format("")} THEN '~' ELSE leaf END AS b2, sum(bad) OVER (PARTITION BY host, t1) AS xb, sum(labelled) OVER (PARTITION BY host, t1) AS xl,
-         sum(bad) OVER (PARTITION BY host) / greatest(sum(labelled) OVER (PARTITION BY host), 1) AS xp FROM m2
-), m0 AS (
-  SELECT *, CASE WHEN {similar.format("x")} THEN '~' ELSE t1 END AS b1,
-         (sum(bad) OVER (PARTITION BY host) + 10 * ((sum(bad) OVER () + 1) / (sum(labelled) OVER () + 2))) / (sum(labelled) OVER (PARTITION BY host) + 10) AS hp FROM m1
+){levels}, e0 AS (SELECT *, '' AS m4 FROM h3){merges}, m0 AS (
+  SELECT *, (sum(bad) OVER (PARTITION BY host) + 10 * ((sum(bad) OVER () + 1) / (sum(labelled) OVER () + 2))) / (sum(labelled) OVER (PARTITION BY host) + 10) AS hp FROM n1
 ), z AS (
-  SELECT host, s1, s2, s3, host || b1 || b2 AS template,
-         round((sum(bad) OVER (PARTITION BY host, b1, b2) + 10 * hp) / (sum(labelled) OVER (PARTITION BY host, b1, b2) + 10), 6) AS purity FROM m0
+  SELECT host, s1, s2, s3, host || m1 AS template, round((sum(bad) OVER (PARTITION BY host, m1) + 10 * hp) / (sum(labelled) OVER (PARTITION BY host, m1) + 10), 6) AS purity FROM m0
 )
 SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
 FROM q JOIN z USING (host) WHERE z.s1 = s[1] AND z.s2 = s[2] AND z.s3 = s[3]
