@@ -1,19 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source has a target in words.  A document's expected copies are its
-source's rate (target over size) times its relative preference, at most
-``max_copies``; the whole part is taken for certain, the fraction is its
-inclusion probability p.  Documents are ranked by random odds over inclusion
-odds, (u / (1 - u)) / (p / (1 - p)), and the first ones are taken until the
-source's words come closest to its target: a sample of fixed size, in words.
+preference times its source's scale, at most ``max_copies``; the scale is such
+that the expected words are the target (what capped documents cannot take goes to
+the others).  The whole part is taken for certain, the fraction is its inclusion
+probability p.  Documents are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), and the first ones are taken until the source's
+words come closest to its target: a sample of fixed size, in words.
+
+The preference used here (``by_length``) follows the length: documents of 50
+words and more are taken twice, of 500 and more three times as readily as shorter ones.
 
 Only two numbers per document travel (its rank key and its size).  The cut is
 found by buckets of the rank key, so a source with a third of all rows is
 spread over its buckets and only the bucket that holds the cut is ordered.
 Rank keys are digests of the doc_id, so reruns and retries agree.
 
-Null texts have size 0; the null source is a source of its own, last in order;
-rows that share doc_id and source are drawn together; an empty table or a
+Null texts have size 0; very long texts count in full; the null source is a source of its own, last in order;
+rows that share doc_id and source are ranked by the same number (and drawn together if equally long); an empty table or a
 corpus without words takes nothing; columns with clashing names stay untouched
 because the work is done on a separate slim table.
 """
@@ -31,6 +35,8 @@ MAX_COPIES = 3
 BUCKET_ROWS = 1024
 SALT = "mix"
 EDGE = 1e-9
+#: (least words, preference), by which ``by_length`` prefers documents.
+LENGTH_CLASSES = ((0, 1), (50, 2), (500, 3))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -79,7 +85,7 @@ def _ranked(slim: DataFrame, stats: DataFrame, max_copies: int) -> DataFrame:
     buckets of equal width hold about as many rows each.
     """
     with_source = slim.join(_one_row_each(stats), slim["source"].eqNullSafe(stats["source"]), "left").drop(stats["source"])
-    expected = F.least(F.col("rate") * F.col("preference") / F.col("mean_preference"), F.lit(float(max_copies)))
+    expected = F.least(F.col("scale") * F.col("preference"), F.lit(float(max_copies)))
     whole = F.floor(F.col("_expected"))
     p, rate = _inside(F.col("_expected") - F.col("whole")), _inside(F.col("rate") - F.floor("rate"))
     scaled = _odds(uniform(F.col("doc_id"))) / _odds(p) * _odds(rate)
@@ -102,19 +108,13 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     ``slim`` holds doc_id, source, size and optionally preference (default 1).
     """
     slim = _with_preference(slim)
-    sums = slim.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("source_rows"), F.sum(F.col("size") * F.col("preference")).alias("_weighted")
+    classes = materialize(
+        slim.groupBy("source", "preference").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("preference")).alias("weighted"), F.count("*").alias("rows")), "mix-sources"
     )
-    sums = materialize(sums, "mix-sources")
-    wanted = targets(sums.drop("_weighted"), weights, max_copies)
+    sums = classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("source_rows"))
     size = F.nullif(F.col("source_size"), F.lit(0)).cast("double")
-    stats = (
-        wanted.join(sums.select(F.col("source").alias("_s"), "_weighted"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("rate", F.least(F.coalesce(F.col("target") / size, F.lit(0.0)), F.lit(float(max_copies))))
-        .withColumn("mean_preference", F.coalesce(F.nullif(F.col("_weighted"), F.lit(0.0)) / size, F.lit(1.0)))
-        .drop("_s", "_weighted")
-    )
-    stats = materialize(stats, "mix-targets")
+    stats = targets(sums, weights, max_copies).withColumn("rate", F.least(F.coalesce(F.col("target") / size, F.lit(0.0)), F.lit(float(max_copies))))
+    stats = _scaled(materialize(stats, "mix-targets"), classes, max_copies)
     buckets = F.greatest(F.ceil(F.col("source_rows") / BUCKET_ROWS), F.lit(1))
     ranked = _ranked(slim, stats, max_copies).where("rank < 2").withColumn("bucket", F.floor(F.col("rank") * buckets))
     certain = _ranked(slim, stats, max_copies).groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
@@ -148,8 +148,38 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     return materialize(out.drop("_n", "_s"), "mix-plan")
 
 
+def _scaled(stats: DataFrame, classes: DataFrame, max_copies: int) -> DataFrame:
+    """``stats`` with ``scale``: expected copies are least(scale * preference, max_copies) and their words the target.
+
+    ``classes`` has the words of each source and preference.  Documents at the cap
+    give the rest to the others, which may put more of them at the cap; ends when none is added.
+    """
+    scaled = stats.withColumn("scale", F.lit(0.0)).withColumn("at_cap", F.lit(-1).cast("long"))
+    while True:
+        of = classes.withColumnRenamed("source", "_s").join(_one_row_each(scaled.select("source", "scale")), F.col("_s").eqNullSafe(F.col("source")))
+        full = F.col("scale") * F.col("preference") >= max_copies
+        left = of.groupBy("_s").agg(
+            F.coalesce(F.sum(F.when(full, F.col("words"))), F.lit(0)).cast("double").alias("_full"),
+            F.nullif(F.coalesce(F.sum(F.when(~full, F.col("weighted"))), F.lit(0)).cast("double"), F.lit(0.0)).alias("_open"), F.count_if(full).alias("_n"),
+        )
+        joined = scaled.join(left, F.col("source").eqNullSafe(F.col("_s")))
+        after = joined.withColumn("_changed", F.col("_n") != F.col("at_cap")).withColumn("scale", F.coalesce((F.col("target") - max_copies * F.col("_full")) / F.col("_open"), F.col("scale")))
+        after = materialize(after.withColumn("at_cap", F.col("_n")).drop("_s", "_full", "_open", "_n"), "mix-scale")
+        if after.where("_changed").isEmpty():
+            return after.drop("_changed", "at_cap")
+        scaled = after.drop("_changed")
+
+
+def by_length(slim: DataFrame) -> DataFrame:
+    """``slim`` with a preference that grows with the length."""
+    preference = F.lit(LENGTH_CLASSES[0][1])
+    for least, value in LENGTH_CLASSES[1:]:
+        preference = F.when(F.col("size") >= least, value).otherwise(preference)
+    return slim.withColumn("preference", preference.cast("long"))
+
+
 def _with_preference(slim: DataFrame) -> DataFrame:
-    return slim if "preference" in slim.columns else slim.withColumn("preference", F.lit(1.0))
+    return slim if "preference" in slim.columns else slim.withColumn("preference", F.lit(1).cast("long"))
 
 
 def copies(slim: DataFrame, planned: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -163,7 +193,7 @@ def copies(slim: DataFrame, planned: DataFrame, max_copies: int = MAX_COPIES) ->
     at = (F.col("rank") == F.col("cut_rank")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
     drawn = F.when(F.col("need") <= 0, False).when(F.col("cut_rank").isNull(), F.col("rank") < 2).otherwise(before | (at & F.col("cut_in")))
     return ranked.withColumn("copies", (F.col("whole") + F.when(drawn, 1).otherwise(0)).cast("long")).drop(
-        "preference", "rate", "mean_preference", "need", "whole", "rank", "source_rows", "cut_rank", "cut_id", "cut_in"
+        "preference", "rate", "scale", "need", "whole", "rank", "source_rows", "cut_rank", "cut_id", "cut_in"
     )
 
 
@@ -175,9 +205,10 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns as they were."""
     names = docs.columns
-    planned = plan(sized(docs))
+    planned = plan(by_length(sized(docs)))
     rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source")
+        F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"),
+        word_count(F.col("text")).alias("size"),
     )
-    taken = copies(rows, planned).where("copies > 0")
+    taken = copies(by_length(rows), planned).where("copies > 0")
     return taken.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")

@@ -17,7 +17,7 @@ def default_vocabulary() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = mixing.sized(table(spark, sf_dir, "documents"))
+    slim = mixing.by_length(mixing.sized(table(spark, sf_dir, "documents")))
     return mixing.copies(slim, mixing.plan(slim)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
@@ -99,7 +99,7 @@ def queries() -> dict:
     }
 
 
-# Rate, whole copies and the cut as in the operator; the rank is the order of u because a source has one rate.
+# Scale, whole copies, Pareto rank and cut as in the operator; the scale from the number of length classes at the cap.
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -116,18 +116,37 @@ WITH d AS (
   SELECT source, source_size,
          round(least(cap, coalesce((SELECT arg_min(level, (cap / weight, n)) FROM l WHERE level * weight <= cap) * weight, cap)), 6) AS target
   FROM l
+), q AS (
+  SELECT *, CASE WHEN size >= 500 THEN 3 WHEN size >= 50 THEN 2 ELSE 1 END AS preference FROM d
+), k AS (
+  SELECT source, preference, sum(size)::BIGINT AS words FROM q GROUP BY ALL
+), j AS (
+  SELECT source, preference, coalesce(sum(words) OVER w - words, 0)::DOUBLE AS capped, nullif(sum(words * preference) OVER v, 0)::DOUBLE AS open FROM k
+  WINDOW w AS (PARTITION BY source ORDER BY preference DESC), v AS (PARTITION BY source ORDER BY preference DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), g AS (
+  SELECT j.source, arg_max((target - 3 * capped) / open, preference) AS scale FROM j JOIN t ON j.source IS NOT DISTINCT FROM t.source
+  WHERE (target - 3 * capped) / open * preference < 3 GROUP BY j.source
 ), r AS (
-  SELECT *, least(coalesce(target / nullif(source_size, 0), 0), 3.0) AS rate FROM t
+  SELECT t.*, least(coalesce(target / nullif(source_size, 0), 0), 3.0)::DOUBLE AS rate, coalesce(scale, CASE WHEN source_size = 0 THEN 0.0 ELSE 3.0 END)::DOUBLE AS scale
+  FROM t LEFT JOIN g ON t.source IS NOT DISTINCT FROM g.source
+), o0 AS (
+  SELECT q.doc_id, q.size, r.source, r.source_size, r.target, least(scale * preference, 3.0::DOUBLE) AS expected, floor(rate) AS rate_whole, rate,
+         (('0x' || md5('mix:' || coalesce(q.doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS v
+  FROM q JOIN r ON q.source IS NOT DISTINCT FROM r.source
+), o1 AS (
+  SELECT *, floor(expected)::BIGINT AS whole, greatest(least(expected - floor(expected), 1 - 1e-9::DOUBLE), 1e-9::DOUBLE) AS p,
+         greatest(least(rate - rate_whole, 1 - 1e-9::DOUBLE), 1e-9::DOUBLE) AS pr FROM o0
+), o2 AS (
+  SELECT *, v / (1 - v) / (p / (1 - p)) * (pr / (1 - pr)) AS scaled FROM o1
 ), o AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, floor(rate)::BIGINT AS whole, target - floor(rate) * source_size AS need,
-         ('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, ''))[1:13])::BIGINT AS u, r.source
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT doc_id, size, source, source_size, target, whole, CASE WHEN whole >= 3 THEN 2.0::DOUBLE ELSE scaled / (1 + scaled) END AS u,
+         target - sum(whole * size) OVER (PARTITION BY source) AS need FROM o2
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto FROM o
+  SELECT *, sum(CASE WHEN whole < 3 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto FROM o
 ), x AS (
-  SELECT source, min(upto) AS upto FROM c WHERE upto >= need AND need > 0 GROUP BY source
+  SELECT source, min(upto) AS upto FROM c WHERE upto >= need AND need > 0 AND whole < 3 GROUP BY source
 ), e AS (
-  SELECT c.source, c.upto, max(c.upto) - sum(c.size) AS before FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source AND c.upto = x.upto GROUP BY ALL
+  SELECT c.source, c.upto, max(c.upto) - sum(c.size) AS before FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source AND c.upto = x.upto AND c.whole < 3 GROUP BY ALL
 )
 SELECT c.doc_id, c.size, c.source_size, c.target, copies * c.size AS taken, copies
 FROM (

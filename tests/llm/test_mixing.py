@@ -75,3 +75,27 @@ def test_preference_changes_inclusion(spark):
     taken = [sum(r.copies for r in out if r.doc_id % 2 == k) for k in (0, 1)]
     assert taken[0] > 2 * taken[1] > 0
     assert abs(sum(taken) * 20 - out[0].target) <= 10
+
+
+def test_inclusion_by_length(spark, monkeypatch):
+    """Over salts, each length class is taken as often as its scale says, and a class at the cap leaves the rest to the others."""
+    rows = [(i, "abc"[i % 3], "w " * (20, 100, 600)[i % 7 % 3]) for i in range(2400)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    counts, expected, n = {}, {}, {}
+    for salt in ("one", "two", "three"):
+        monkeypatch.setattr(mixing, "SALT", salt)
+        slim = mixing.by_length(mixing.sized(frame))
+        planned = mixing.plan(slim)
+        scale = {r.source: (r.scale, r.target) for r in planned.collect()}
+        taken = {}
+        for r in mixing.copies(slim, planned).collect():
+            k = (r.source, r.size)
+            want = min(3.0, scale[r.source][0] * {20: 1, 100: 2, 600: 3}[r.size])
+            assert int(want) <= r.copies <= int(want) + 1 and r.copies <= 3
+            counts[k], expected[k], n[k] = counts.get(k, 0) + r.copies, expected.get(k, 0) + want, n.get(k, 0) + 1
+            taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+        for s, (_, target) in scale.items():
+            assert abs(taken[s] - target) <= 600
+    assert len({round(expected[k] / n[k], 6) for k in expected if k[0] == "c"}) == 3
+    for k in counts:
+        assert abs(counts[k] - expected[k]) <= 4 * (n[k] * 0.25) ** 0.5 + 1, (k, counts[k], expected[k])
