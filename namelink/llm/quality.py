@@ -5,8 +5,9 @@ and one bit per failed rule.  A versioned policy is a mask over those bits, so
 changing a policy or measuring what one rule costs reads the ledger and never
 the texts again.
 
-Nulls and empty texts have no words (and fail the word minimum); repeated rows
-get equal ledgers; an empty table gives an empty ledger; columns whose names
+Nulls and empty texts have no words (and fail the word minimum); very long texts
+are measured whole; a measure that just reaches a rule's bound does not fail it;
+repeated rows get equal ledgers; an empty table gives an empty ledger; columns whose names
 clash with the ledger's are left out of it unless named in ``keep``.
 """
 
@@ -42,6 +43,7 @@ RULES = (
     Rule(4, "short_words", "2 * word_chars < 5 * n_words"),
     Rule(5, "long_words", "word_chars > 20 * n_words"),
     Rule(6, "repeated_windows_strict", "100 * n_repeat_words > 30 * n_words"),
+    Rule(7, "no_words", "n_words = 0"),
 )
 
 
@@ -63,8 +65,12 @@ POLICIES = {
     "base-1": BASE,
     "2024-1": Policy("2024-1", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words")),
     "2024-2": Policy("2024-2", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words", "repeated_windows_strict")),
+    # Short texts of good quality stay: what is wrong with a text shows in the other rules.
+    "2025-1": Policy("2025-1", ("no_words", "repeated_windows", "symbols", "repeated_lines", "short_words", "long_words")),
 }
 CURRENT = "2024-1"
+#: For corpora that keep short documents, as the pipeline does.
+SHORT_KEPT = "2025-1"
 
 
 def repeated_words(words: Column) -> Column:
@@ -140,14 +146,9 @@ def ablation(entries: DataFrame, policy: Policy) -> DataFrame:
     rules = [r for r in RULES if policy.mask >> r.bit & 1]
     masked = F.col("failed").bitwiseAND(F.lit(policy.mask))
     patterns = entries.groupBy(masked.alias("pattern")).agg(F.count("*").alias("n"))
-    exploded = patterns.select(
-        "n", "pattern", F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in rules])).alias("r")
-    )
-    hit = F.col("pattern").bitwiseAND(F.col("r.bit")) != 0
-    return exploded.groupBy(F.col("r.rule").alias("rule")).agg(
-        F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_failed"),
-        F.coalesce(F.sum(F.when(F.col("pattern") == F.col("r.bit"), F.col("n"))), F.lit(0)).alias("n_only"),
-        F.lit(policy.version).alias("policy"),
+    each = patterns.select("n", F.bit_count("pattern").alias("bits"), F.inline(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.getbit("pattern", F.lit(r.bit)).cast("long").alias("hit")) for r in rules])))
+    return each.groupBy("rule").agg(
+        F.sum(F.col("n") * F.col("hit")).alias("n_failed"), F.sum(F.col("n") * F.col("hit") * (F.col("bits") == 1).cast("long")).alias("n_only"), F.lit(policy.version).alias("policy")
     )
 
 

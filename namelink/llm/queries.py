@@ -176,7 +176,7 @@ WITH d AS (
 ), f AS (
   SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
     + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (2 * word_chars < 5 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT
-    + 64 * (100 * n_repeat_words > 30 * n_words)::INT)::BIGINT AS failed
+    + 64 * (100 * n_repeat_words > 30 * n_words)::INT + 128 * (n_words = 0)::INT)::BIGINT AS failed
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept, failed FROM f
