@@ -7,14 +7,15 @@ tournament tree of free capacities finds in log time.  As documents may be cut
 freely, the emptiest bins are then cut up to fill gaps of at least ``MIN_GAP``
 tokens in the others, so a group ends with one sequence that is not full.
 
-A group is streamed: full pieces leave at once, and at most ``GROUP_DOCS`` rests
-(on average) of under one sequence each wait for the packing.  Texts are
+A group is streamed: full pieces leave at once, and ``GROUP_DOCS`` rests on average,
+``4 * GROUP_DOCS`` at most, of under one sequence each wait for the packing.  Texts are
 shuffled once; group, order and result depend on the rows alone, so a task that
 is run again gives the same rows.
 
 A null text is empty; every document ends with the end id, so an empty one is
 a piece of one token; repeated rows are packed each on its own (they share a
-group); an empty table gives no pieces; extra columns are not read.
+group, which is then packed in parts); very long texts are cut into pieces as they
+are; rests of equal length go by their order; an empty table gives no pieces; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -124,18 +125,20 @@ def fill_gaps(bins: list[list[list[int]]], capacity: int, least: int = MIN_GAP)
     return [b for b in ordered if b]
 
 
-def _pack_group(group: int, rests: list[tuple[int | None, int, np.ndarray, int]], first_sequence: int, length: int):
-    """Pieces of a group's rests: (doc_id, start, ids, doc_tokens, sequence_id, offset)."""
+def _pack_group(group: int, rests: list[tuple[int | None, int, np.ndarray, int]], first_sequence: int, length: int) -> tuple[list[tuple], int]:
+    """Pieces of a group's rests: (doc_id, start, ids, doc_tokens, sequence_id, offset), and the next sequence's number."""
     places = first_fit_decreasing([len(r[2]) for r in rests], length)
     bins: list[list[list[int]]] = [[] for _ in range(max(places, default=-1) + 1)]
     for item in sorted(range(len(rests)), key=lambda i: (-len(rests[i][2]), i)):
         bins[places[item]].append([item, 0, len(rests[item][2])])
-    for k, pieces in enumerate(fill_gaps(bins, length)):
+    out, filled = [], fill_gaps(bins, length)
+    for k, pieces in enumerate(filled):
         offset = 0
         for item, start, size in pieces:
             doc_id, before, ids, total = rests[item]
-            yield doc_id, before + start, ids[start : start + size], total, group << 32 | first_sequence + k, offset
+            out.append((doc_id, before + start, ids[start : start + size], total, group << 32 | first_sequence + k, offset))
             offset += size
+    return out, first_sequence + len(filled)
 
 
 def _packer(vocabulary: str, length: int):
@@ -149,7 +152,7 @@ def _packer(vocabulary: str, length: int):
                 g, doc_id = b.column(0)[at].as_py(), b.column(1)[at].as_py()
                 if g != group:
                     if group is not None:
-                        out += _pack_group(group, rests, sequences, length)
+                        out += _pack_group(group, rests, sequences, length)[0]
                     group, rests, sequences = g, [], 0
                 ids = np.array(encode(b.column(2)[at].as_py()) + [END_ID], "<u4")
                 total, start = len(ids), 0
@@ -158,12 +161,16 @@ def _packer(vocabulary: str, length: int):
                     sequences, start = sequences + 1, start + length
                 if start < total:
                     rests.append((doc_id, start, ids[start:].copy(), total))
+                    if len(rests) >= 4 * GROUP_DOCS:  # equal rows share a group: however many there are, a bounded number waits
+                        done, sequences = _pack_group(group, rests, sequences, length)
+                        out += done
+                        rests = []
                 held += total
                 if held > BATCH_BYTES // 4:
                     yield from _pieces(out)
                     out, held = [], 0
         if group is not None:
-            out += _pack_group(group, rests, sequences, length)
+            out += _pack_group(group, rests, sequences, length)[0]
         yield from _pieces(out)
 
     return run
