@@ -8,7 +8,8 @@ are distinct hashes, so a first turn or conversation that many share is one row.
 
 Turns are ordered by turn, then role and text (null first); null role or text
 counts as empty; rows with a null conv_id are one conversation; an empty table
-gives none; extra columns are not read.  Markers of the chat format inside a
+gives none; very long texts are hashed and rendered whole; of equal conversations
+the smallest conv_id stands (null first); extra columns are not read.  Markers of the chat format inside a
 text are broken up, so a text cannot forge a turn.
 """
 
@@ -70,8 +71,9 @@ def maximal(conversations: DataFrame) -> DataFrame:
 def render(conversations: DataFrame, kept: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_equal, text): each kept conversation in the chat format."""
     clean = lambda c: F.replace(c, F.lit(MARK), F.lit(BROKEN))
-    turns = _turns(conversations).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    line = lambda t: F.concat(F.lit(START), clean(t["role"]), F.lit("\n"), clean(t["text"]), F.lit(END), F.lit("\n"))
     chosen = kept.withColumnRenamed("conv_id", "_kept")
+    wanted = _turns(conversations).join(chosen.select("_kept"), F.col("conv_id").eqNullSafe(F.col("_kept")), "left_semi")
+    turns = wanted.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    line = lambda t: F.concat(F.lit(START), clean(t["role"]), F.lit("\n"), clean(t["text"]), F.lit(END), F.lit("\n"))
     joined = turns.join(chosen, F.col("conv_id").eqNullSafe(F.col("_kept")))
     return joined.select("conv_id", "n_turns", "n_equal", F.array_join(F.transform("turns", line), "").alias("text"))
