@@ -6,7 +6,8 @@ and a logistic regression is fitted on the scaled features, so evidence that
 the labels support starts large and the rest near zero.
 
 The fit reads a bounded sample (``MAX_TRAINING`` labelled rows, lowest digest
-of doc_id first); every text is scored whole, in chunks.  Labels enter only
+of doc_id first), whose n-grams are found on the executors and reach the driver as
+at most 32 KB a document; every text is scored whole, in chunks.  Labels enter only
 through that sample, and doc_id only to choose it.
 
 A null text is empty and gets the score of the bias; labels that are null are
@@ -69,23 +70,30 @@ def features(text: str | None, table: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Naive Bayes ratios, then logistic regression on the scaled features by AdaGrad over fixed random batches."""
+    table = np.zeros(1 << BITS, np.uint8)
+    return fit_features([features(t, table).astype(np.int32) for t in texts], labels)
+
+
+def fit_features(rows: list[np.ndarray], labels: list[int]) -> Model:
+    """Naive Bayes ratios, then logistic regression on the scaled features by AdaGrad over fixed random batches.
+
+    Only columns that enough documents have are kept, so a step costs what these do.
+    """
     y = np.array(labels, np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(share / (1 - share)))
     size = 1 << BITS
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size, np.float32), bias)
-    table = np.zeros(size, np.uint8)
-    rows = [features(t, table).astype(np.int32) for t in texts]
     counts = np.zeros((2, size))
     for r, label in zip(rows, labels):
         counts[label, r] += 1
     keep = counts.sum(axis=0) >= min(MIN_DOCUMENTS, len(y) / 4)
     p, q = (1 + counts[1]) / (2 + y.sum()), (1 + counts[0]) / (2 + len(y) - y.sum())
-    ratio = np.where(keep, np.log(p / q), 0.0)
-    rows = [r[keep[r]] for r in rows]
-    weight, squares, bias_squares = np.zeros(size), np.full(size, 1e-8), 1e-8
+    kept, column = np.flatnonzero(keep), np.cumsum(keep) - 1
+    ratio = np.log(p / q)[kept]
+    rows = [column[r[keep[r]]] for r in rows]
+    weight, squares, bias_squares = np.zeros(len(kept)), np.full(len(kept), 1e-8), 1e-8
     rng = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
@@ -94,15 +102,17 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
             ids = np.concatenate([rows[i] for i in batch])
             lengths = [len(rows[i]) for i in batch]
             owner = np.repeat(np.arange(len(batch)), lengths)
-            z = bias + np.bincount(owner, (weight * ratio)[ids] if len(ids) > size else weight[ids] * ratio[ids], len(batch))
+            z = bias + np.bincount(owner, (weight * ratio)[ids], len(batch))
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
-            gradient = np.bincount(ids, error[owner], size) * ratio + DECAY * weight
+            gradient = np.bincount(ids, error[owner], len(kept)) * ratio + DECAY * weight
             squares += gradient**2
             weight -= RATE * gradient / np.sqrt(squares)
             g = error.sum()
             bias_squares += g * g
             bias -= RATE * g / np.sqrt(bias_squares)
-    return Model((weight * ratio).astype(np.float32), float(bias))
+    whole = np.zeros(size, np.float32)
+    whole[kept] = weight * ratio
+    return Model(whole, float(bias))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -120,8 +130,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(known), "id").orderBy(F.xxhash64("id"), "id", "text").limit(rows).collect()
-    return fit([r["text"] for r in sample], [r["label"] for r in sample])
+    chosen = texts.join(F.broadcast(known), "id").withColumn("order", F.xxhash64("id", "text"))
+    found = chosen.select("order", "id", "label", "text").mapInArrow(_packed, "order long, id long, label int, found binary")
+    sample = found.orderBy(F.xxhash64("id"), "id", "order").limit(rows).collect()
+    return fit_features([_unpacked(r["found"]) for r in sample], [r["label"] for r in sample])
+
+
+def _packed(batches):
+    """Feature ids of each whole text, as ids or as a bit table, whichever is shorter: at most 2^BITS / 8 bytes and a mark."""
+    table = np.zeros(1 << BITS, np.uint8)
+    for b in batches:
+        out = []
+        for t in b.column(3):
+            found = features(t.as_py(), table).astype("<i4")
+            if 4 * len(found) > len(table) // 8:
+                table[found] = 1
+                out.append(b"b" + np.packbits(table).tobytes())
+                table[found] = 0
+            else:
+                out.append(b"i" + found.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["order", "id", "label", "found"])
+
+
+def _unpacked(found: bytes) -> np.ndarray:
+    if found[:1] == b"i":
+        return np.frombuffer(found, "<i4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(found, np.uint8, offset=1))).astype(np.int32)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import random
+
+import numpy as np
 import random
 import zlib
 
@@ -39,3 +43,62 @@ def test_edges(spark):
     assert all((out[i] >= 0.5) == (i % 4 == 0) for i in range(400)) and out[501] >= 0.5 and out[500] < 0.5 and out[None] == out[500]
     assert toxicity.train(docs, labels.limit(0)).score(toxicity.features("x", __import__("numpy").zeros(1 << toxicity.BITS, "u1"))) == 0.5
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def plain_features(text):
+    """Ids of the distinct n-grams, one by one."""
+    mask, out = (1 << 64) - 1, set()
+    points = [ord(c) for c in f" {text.lower()} "]
+    for n in toxicity.ORDERS:
+        for i in range(len(points) - n + 1):
+            h = points[i]
+            for k in range(1, n):
+                h = h * 0x9E3779B97F4A7C15 & mask
+                h = (h ^ h >> 29) + points[i + k] & mask
+            out.add((h * 0xBF58476D1CE4E5B9 & mask) >> 64 - toxicity.BITS)
+    return sorted(out)
+
+
+def plain_fit(rows, labels):
+    """The same steps with dictionaries, feature by feature."""
+    y, n = labels, len(labels)
+    share = (sum(y) + 1) / (n + 2)
+    counts = {}
+    for r, label in zip(rows, y):
+        for f in r:
+            counts.setdefault(f, [0, 0])[label] += 1
+    ratio = {f: math.log((1 + c[1]) / (2 + sum(y)) / ((1 + c[0]) / (2 + n - sum(y)))) for f, c in counts.items() if sum(c) >= min(toxicity.MIN_DOCUMENTS, n / 4)}
+    weight, squares = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-8)
+    bias, bias_squares = math.log(share / (1 - share)), 1e-8
+    rng = np.random.default_rng(toxicity.SEED)
+    for _ in range(toxicity.EPOCHS):
+        order = rng.permutation(n)
+        for at in range(0, n, 32):
+            batch = order[at : at + 32]
+            z = {i: bias + sum(weight[f] * ratio[f] for f in rows[i] if f in ratio) for i in batch}
+            error = {i: (1 / (1 + math.exp(-z[i])) - y[i]) / len(batch) for i in batch}
+            slope = {f: toxicity.DECAY * w for f, w in weight.items()}
+            for i in batch:
+                for f in rows[i]:
+                    if f in ratio:
+                        slope[f] += error[i] * ratio[f]
+            for f, g in slope.items():
+                squares[f] += g * g
+                weight[f] -= toxicity.RATE * g / math.sqrt(squares[f])
+            g = sum(error.values())
+            bias_squares += g * g
+            bias -= toxicity.RATE * g / math.sqrt(bias_squares)
+    return {f: weight[f] * ratio[f] for f in ratio}, bias
+
+
+def test_against_plain_model():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("good", "fine", "bad", "awful", "über")) for _ in range(rng.randrange(1, 9))) for _ in range(70)] + ["", "x"]
+    labels = [int("bad" in t or "awful" in t) for t in texts]
+    table = np.zeros(1 << toxicity.BITS, np.uint8)
+    rows = [toxicity.features(t, table) for t in texts]
+    assert [r.tolist() for r in rows[:-2]] == [plain_features(t) for t in texts[:-2]]
+    model, (weights, bias) = toxicity.fit(texts, labels), plain_fit([r.tolist() for r in rows], labels)
+    assert abs(model.bias - bias) < 1e-6
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(weights)
+    assert all(abs(model.weights[f] - w) < 1e-5 for f, w in weights.items())
