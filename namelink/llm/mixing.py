@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_enough, word_count
+from .common import materialize, once, small_enough, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -206,9 +206,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns as they were."""
     names = docs.columns
     planned = plan(by_length(sized(docs)))
-    rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"),
-        word_count(F.col("text")).alias("size"),
-    )
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"))
+    rows = once(rows, size=word_count(F.col("_row.text")))
     taken = copies(by_length(rows), planned).where("copies > 0")
     return taken.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
