@@ -85,14 +85,15 @@ def fit_features(rows: list[np.ndarray], labels: list[int]) -> Model:
     size = 1 << BITS
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size, np.float32), bias)
-    counts = np.zeros((2, size))
+    counts = np.zeros((2, size))  # the n-grams of each label's documents
     for r, label in zip(rows, labels):
         counts[label, r] += 1
     keep = counts.sum(axis=0) >= min(MIN_DOCUMENTS, len(y) / 4)
     p, q = (1 + counts[1]) / (2 + y.sum()), (1 + counts[0]) / (2 + len(y) - y.sum())
-    kept, column = np.flatnonzero(keep), np.cumsum(keep) - 1
+    kept, column = np.flatnonzero(keep), (np.cumsum(keep) - 1).astype(np.int32)
     ratio = np.log(p / q)[kept]
-    rows = [column[r[keep[r]]] for r in rows]
+    for k, r in enumerate(rows):
+        rows[k] = column[r[keep[r]]]
     weight, squares, bias_squares = np.zeros(len(kept)), np.full(len(kept), 1e-8), 1e-8
     rng = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
@@ -133,29 +134,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     chosen = texts.join(F.broadcast(known), "id").withColumn("order", F.xxhash64("id", "text"))
     found = chosen.select("order", "id", "label", "text").mapInArrow(_packed, "order long, id long, label int, found binary")
     sample = found.orderBy(F.xxhash64("id"), "id", "order").limit(rows).collect()
-    return fit_features([_unpacked(r["found"]) for r in sample], [r["label"] for r in sample])
+    labels_of = [r["label"] for r in sample]
+    found_of = [r["found"] for r in sample]
+    del sample
+    return fit_features([_unpacked(found_of.pop()) for _ in range(len(found_of))][::-1], labels_of)
+
+
+def _bytes(found: np.ndarray, table: np.ndarray) -> bytes:
+    """Feature ids as gaps or as a bit table, whichever is shorter: at most 2^BITS / 8 bytes and a mark."""
+    gaps = np.diff(found, prepend=0)
+    kind = "<u2" if gaps.max(initial=0) < 1 << 16 else "<u4"
+    if len(found) * int(kind[-1]) <= len(table) // 8:
+        return kind[-1].encode() + gaps.astype(kind).tobytes()
+    table[found] = 1
+    bits = np.packbits(table).tobytes()
+    table[found] = 0
+    return b"b" + bits
 
 
 def _packed(batches):
-    """Feature ids of each whole text, as ids or as a bit table, whichever is shorter: at most 2^BITS / 8 bytes and a mark."""
+    """Feature ids of each whole text."""
     table = np.zeros(1 << BITS, np.uint8)
     for b in batches:
-        out = []
-        for t in b.column(3):
-            found = features(t.as_py(), table).astype("<i4")
-            if 4 * len(found) > len(table) // 8:
-                table[found] = 1
-                out.append(b"b" + np.packbits(table).tobytes())
-                table[found] = 0
-            else:
-                out.append(b"i" + found.tobytes())
+        out = [_bytes(features(t.as_py(), table), table) for t in b.column(3)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["order", "id", "label", "found"])
 
 
 def _unpacked(found: bytes) -> np.ndarray:
-    if found[:1] == b"i":
-        return np.frombuffer(found, "<i4", offset=1)
-    return np.flatnonzero(np.unpackbits(np.frombuffer(found, np.uint8, offset=1))).astype(np.int32)
+    if found[:1] == b"b":
+        return np.flatnonzero(np.unpackbits(np.frombuffer(found, np.uint8, offset=1))).astype(np.int32)
+    return np.cumsum(np.frombuffer(found, f"<u{found[:1].decode()}", offset=1), dtype=np.int32)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

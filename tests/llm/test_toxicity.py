@@ -98,6 +98,9 @@ def test_against_plain_model():
     table = np.zeros(1 << toxicity.BITS, np.uint8)
     rows = [toxicity.features(t, table) for t in texts]
     assert [r.tolist() for r in rows[:-2]] == [plain_features(t) for t in texts[:-2]]
+    for some in (*rows, np.arange(0, 1 << toxicity.BITS, 3), np.array([0, 70_000, (1 << toxicity.BITS) - 1])):
+        packed = toxicity._bytes(some, table)
+        assert toxicity._unpacked(packed).tolist() == some.tolist() and len(packed) <= (1 << toxicity.BITS) // 8 + 1 and not table.any()
     model, (weights, bias) = toxicity.fit(texts, labels), plain_fit([r.tolist() for r in rows], labels)
     assert abs(model.bias - bias) < 1e-6
     assert set(np.flatnonzero(model.weights).tolist()) <= set(weights)
