@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,13 @@ from ..functions.similarity import text_scores
 
 #: Pairs per task of the scoring function.
 PAIRS_PER_TASK = 200_000
-#: Vectors per tile: a task holds two tiles and their products.
+#: Vectors per tile at least, and at most from so many tiles on: a task holds two tiles and some rows of their product.
 VECTORS_PER_TILE = 512
+LARGEST_TILE = 2048
+TILES = 24
+STRIP = 256
+#: Tasks that pairs of tiles are dealt out to.
+TASKS = 96
 
 
 def attributes(names: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None) -> DataFrame:
@@ -104,35 +110,62 @@ def edges(scored: DataFrame, threshold: float, how: Column | None = None) -> Dat
     return scored.where(F.col("score") >= threshold if how is None else how).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
 
 
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors as rows of length 1; null, empty and zero vectors are rows of zeros, shorter ones end with zeros."""
+    length = np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    x = np.zeros((len(length), length.max(initial=0)))
+    row = np.repeat(np.arange(len(length)), length)
+    begin = np.cumsum(length) - length
+    x[row, np.arange(len(row)) - begin[row]] = np.array(column.drop_null().combine_chunks().flatten().cast(pa.float64()), np.float64)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _tiles(items: DataFrame, rows: int, largest: int):
+    """``items`` (ord, embedding) as one group (i, j) for each pair of tiles; grouped by them, each group is one task's bounded work.
+
+    Tiles have ``rows`` vectors, up to ``largest`` where there would be more than
+    ``TILES``: each vector travels once for every tile.
+    """
+    slim = items.select("ord", "embedding")
+    total = slim.count()
+    n = max(1, min(-(-total // rows), max(TILES, -(-total // max(rows, largest)))))
+    tiled = slim.withColumn("tile", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = tiled.select(F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "ord", "embedding")
+    return dealt.repartition(min(n * (n + 1) // 2, TASKS), "i", "j").groupBy("i", "j")
+
+
+def _strips(table: pa.Table):
+    """(ords, ords, scores, which pairs count or None for all) of a pair of tiles, some rows of the product at a time; the same on every run."""
+    if not table.num_rows:
+        return
+    tile, ord_ = (table[c].to_numpy() for c in ("tile", "ord"))
+    x = unit_rows(table["embedding"])
+    order = np.lexsort((*x.T[:1], ord_))
+    tile, ord_, x = tile[order], ord_[order], x[order]
+    first, last = tile == table["i"][0].as_py(), tile == table["j"][0].as_py()
+    mine, other, y = ord_[first], ord_[last], x[last].T
+    for at in range(0, len(mine), STRIP):
+        score = x[first][at : at + STRIP] @ y
+        np.clip(score, 0.0, 1.0, out=score)
+        some = mine[at : at + STRIP]
+        yield some, other, score, some[:, None] < other[None] if (first & last).any() else None
+
+
 def similar_vectors(items: DataFrame, threshold: float, rows: int = VECTORS_PER_TILE) -> DataFrame:
     """(a_ord, b_ord, score) of ``items`` (ord, embedding) whose cosine is at least ``threshold``, a_ord < b_ord.
 
     All pairs by definition: the vectors are cut into tiles and each pair of tiles
     is one matrix product of bounded size; only pairs that reach the threshold leave it.
     """
-    slim = items.select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    n = max(1, -(-slim.count() // rows))
-    tiled = slim.withColumn("tile", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = tiled.select(F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "ord", "embedding")
+    kind = dict(items.dtypes)["ord"]
 
     def product(table: pa.Table) -> pa.Table:
-        tile, ord_ = (table[c].to_numpy() for c in ("tile", "ord"))
-        # Null and empty vectors have no length; they count as zero.
-        wide = max((len(v) for v in table["embedding"].to_pylist() if v), default=0)
-        x = np.zeros((table.num_rows, wide))
-        for at, v in enumerate(table["embedding"].to_pylist()):
-            if v:
-                x[at, : len(v)] = v
-        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-        first = tile == table["i"][0].as_py() if table.num_rows else np.zeros(0, bool)
-        last = tile == table["j"][0].as_py() if table.num_rows else first
-        score = np.clip(x[first] @ x[last].T, 0.0, 1.0)
-        a, b = np.nonzero(score >= threshold)
-        one, other, value = ord_[first][a], ord_[last][b], score[a, b]
-        keep = one < other if (first & last).any() else one != other
-        one, other, value = one[keep], other[keep], value[keep]
-        return pa.table({"a_ord": np.minimum(one, other), "b_ord": np.maximum(one, other), "score": value})
-
-    kind = dict(items.dtypes)["ord"]
-    return dealt.groupBy("i", "j").applyInArrow(product, f"a_ord {kind}, b_ord {kind}, score double")
+        found = []
+        for one, other, score, counted in _strips(table):
+            a, b = np.nonzero(score >= threshold if counted is None else (score >= threshold) & counted)
+            low, high = one[a], other[b]
+            found.append(pa.table({"a_ord": np.minimum(low, high), "b_ord": np.maximum(low, high), "score": score[a, b]}))
+        return pa.concat_tables(found) if found else pa.table({"a_ord": table["ord"], "b_ord": table["ord"], "score": pa.array([], pa.float64())})
+
+    return _tiles(items, rows, LARGEST_TILE).applyInArrow(product, f"a_ord {kind}, b_ord {kind}, score double")

@@ -186,8 +186,7 @@ def q_leaders(spark, d):
 
 
 def q_hac_average(spark, d):
-    v = vectors(spark, d)
-    return clustering.hierarchical(v.select("ord"), vector_scores(spark, d, 0.0), 0.55, "average")
+    return clustering.hierarchical_vectors(vectors(spark, d), 0.55)
 
 
 def q_hac_single(spark, d):

@@ -111,6 +111,43 @@ def test_hierarchical(spark, method):
     assert -1 <= clustering.cophenetic_correlation(d, method) <= 1
 
 
+def clustered(n, seed):
+    """Unit vectors around a few centres and far from them, some equal, one of zeros."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, n)] + rng.normal(size=(n, 12)) * rng.choice([0.2, 0.6, 1.5], (n, 1))
+    x[n // 2 : n // 2 + 9], x[-1] = x[3], 0
+    return x
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.4, 0.55, 0.8])
+def test_average_linkage_from_close_pairs(threshold):
+    for seed in range(6):
+        x = clustered(150, seed)[:-1]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sizes = np.random.default_rng(seed).integers(1, 4, len(x))
+        distance = 1 - np.clip(x @ x.T, 0, 1)
+        a, b = np.nonzero(np.triu(distance <= threshold + 1e-12, 1))
+        assert (clustering.agglomerate(distance, threshold, "average", sizes) == clustering.agglomerate_vectors(x, sizes, a, b, 1 - distance[a, b], threshold)).all()
+
+
+@pytest.mark.parametrize("dense", [0, 25])
+def test_hierarchical_vectors_write_close_pairs_only(spark, monkeypatch, dense):
+    monkeypatch.setattr(clustering, "CELLS_PER_PAIR", dense)
+    tables, write = [], clustering.written
+    monkeypatch.setattr(clustering, "written", lambda df, name: tables.append(write(df, name)) or tables[-1])
+    x = clustered(120, 3)
+    rows = [(i, [float(v) for v in r], "c") for i, r in enumerate(x)] + [(200, None, "c"), (201, [], "c"), (202, [0.0], "c")]
+    items = spark.createDataFrame(rows, "ord long, embedding array<float>, component string")
+    got = {r.ord: r.group_id for r in clustering.hierarchical_vectors(items, 0.4).collect()}
+    scores = [t for t in tables if "score" in t.columns]
+    assert scores and all(t.where("score < 0.59").isEmpty() for t in scores)
+    every = spark.createDataFrame([(i, j, float(s)) for i, j, s in pairs.similar_vectors(items, 0.0).collect()], "a_ord long, b_ord long, score double")
+    want = {r.ord: r.group_id for r in clustering.hierarchical(items.select("ord"), every, 0.4).collect()}
+    assert got == want and len(got) == 123 and got[60] == got[3] and len(set(got.values())) < 110
+    assert every.count() == 123 * 122 // 2
+    assert clustering.hierarchical_vectors(items.limit(0), 0.4).count() == 0
+
+
 def test_canonical_and_mappings(spark):
     members = names(spark, ["Apple Inc.", "Apple", "APPLE", "Solo"]).withColumn("group_id", F.when(F.col("ord") < 3, 0).otherwise(1))
     assert {r.group_id: r.canonical_name for r in clustering.canonical_names(members).collect()} == {0: "APPLE", 1: "Solo"}
