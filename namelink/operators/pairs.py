@@ -21,6 +21,8 @@ TILES = 24
 STRIP = 256
 #: Tasks that pairs of tiles are dealt out to.
 TASKS = 96
+#: Bins of the scores from 0 to 1, and of each of these again.
+BINS = 4096
 
 
 def attributes(names: DataFrame, cfg: Config = Config(), vectors: DataFrame | None = None) -> DataFrame:
@@ -169,3 +171,76 @@ def similar_vectors(items: DataFrame, threshold: float, rows: int = VECTORS_PER_
         return pa.concat_tables(found) if found else pa.table({"a_ord": table["ord"], "b_ord": table["ord"], "score": pa.array([], pa.float64())})
 
     return _tiles(items, rows, LARGEST_TILE).applyInArrow(product, f"a_ord {kind}, b_ord {kind}, score double")
+
+
+def score_distribution(items: DataFrame, shares: tuple[float, ...], rows: int = VECTORS_PER_TILE) -> DataFrame:
+    """(score, n): how often scores occur among all pairs of ``items`` (ord, embedding); its percentiles at ``shares`` are those of all pairs.
+
+    Scores are counted in bins where they are computed, so pairs never leave a
+    tile.  The bins that hold a wanted rank (or its neighbour) are counted again in
+    finer bins, and of those that hold one the exact scores are counted; scores of
+    any other bin stand at its lower bound.
+    """
+    spark = items.sparkSession
+    scale = float(BINS)
+
+    def counted(kind: str, inner) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            found: dict = {}
+            for _, _, score, which in _strips(table):
+                for value, n in zip(*inner(score.ravel() if which is None else score[which])):
+                    found[value] = found.get(value, 0) + n
+            return pa.table({"value": pa.array(found.keys(), pa.float64() if kind == "double" else pa.int64()), "n": pa.array(found.values(), pa.int64())})
+
+        return _tiles(items, rows, 2 * LARGEST_TILE).applyInArrow(run, f"value {kind}, n long").groupBy("value").agg(F.sum("n").alias("n"))
+
+    def bins(value: np.ndarray):
+        n = np.bincount((value * scale).astype(np.int32), minlength=BINS + 1)
+        at = np.flatnonzero(n)
+        return at.tolist(), n[at].tolist()
+
+    def wanted(counts: list[tuple[int, int]], before: dict[int, int]) -> set[int]:
+        """Bins of the ranks, of sorted ``counts``; before: how many scores are lower than a bin's."""
+        ranks = {int(f(p * (total - 1))) for p in shares for f in (np.floor, np.ceil)}
+        return {b for b, n in counts if any(before[b] <= r < before[b] + n for r in ranks)}
+
+    def chosen(value: np.ndarray, coarse: set[int]) -> np.ndarray:
+        table = np.zeros(BINS + 1, bool)
+        table[list(coarse)] = True
+        return value[table[(value * scale).astype(np.int32)]]
+
+    first = sorted((r["value"], r["n"]) for r in counted("long", bins).collect())
+    total, below = 0, {}
+    for b, n in first:
+        below[b] = total
+        total += n
+    coarse = wanted(first, below) if total else set()
+
+    def finer(value: np.ndarray):
+        value = chosen(value, coarse)
+        slot = np.zeros(BINS + 1, np.int64)
+        places = np.array(sorted(coarse), np.int64)
+        slot[places] = np.arange(len(places))
+        fine = (value * (scale * scale)).astype(np.int64)
+        n = np.bincount(slot[fine // BINS] * BINS + fine % BINS, minlength=1)
+        at = np.flatnonzero(n)
+        return (places[at // BINS] * BINS + at % BINS).tolist(), n[at].tolist()
+
+    second = sorted((r["value"], r["n"]) for r in counted("long", finer).collect()) if total else []
+    at, inside = {}, {}
+    for b, n in second:
+        at[b] = below[b // BINS] + inside.get(b // BINS, 0)
+        inside[b // BINS] = inside.get(b // BINS, 0) + n
+    fine = wanted(second, at)
+    places = np.array(sorted(fine), np.int64)
+
+    def exact(value: np.ndarray):
+        value = chosen(value, coarse)
+        none = int((value == 0).sum()) if 0 in fine else 0  # half of all pairs may have it: not sorted
+        value = value[value != 0]
+        found, n = np.unique(value[np.isin((value * (scale * scale)).astype(np.int64), places)], return_counts=True)
+        return [0.0] * (none > 0) + found.tolist(), [none] * (none > 0) + n.tolist()
+
+    rest = [(b / scale, n) for b, n in first if b not in coarse] + [(b / scale / scale, n) for b, n in second if b not in fine]
+    known = spark.createDataFrame(rest, "score double, n long")
+    return known.union(counted("double", exact).select(F.col("value").alias("score"), "n")) if total else known

@@ -203,7 +203,7 @@ def q_hac_distances(spark, d):
 
 
 def q_percentiles(spark, d):
-    got = clustering.threshold_advice(vector_scores(spark, d, 0.0))
+    got = clustering.threshold_advice(pairs.score_distribution(vectors(spark, d), clustering.SHARES))
     return got.select(*[_r(F.col(c), 5).alias(c) for c in got.columns])
 
 

@@ -148,6 +148,24 @@ def test_hierarchical_vectors_write_close_pairs_only(spark, monkeypatch, dense):
     assert clustering.hierarchical_vectors(items.limit(0), 0.4).count() == 0
 
 
+def test_percentiles_without_pairs(spark, monkeypatch):
+    """Bins, finer bins and exact scores give the percentiles of all pairs; at most a fraction of the pairs leaves a tile."""
+    x = clustered(300, 5)
+    items = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "ord long, embedding array<float>")
+    every = pairs.similar_vectors(items, 0.0)
+    want = clustering.threshold_advice(every).first()
+    for bins, tile in ((4096, 512), (8, 64)):
+        monkeypatch.setattr(pairs, "BINS", bins)
+        held = pairs.score_distribution(items, clustering.SHARES, tile)
+        got = clustering.threshold_advice(held).first()
+        assert got.asDict() == pytest.approx(want.asDict(), abs=1e-12)
+        assert held.agg(F.sum("n")).first()[0] == every.count() == 300 * 299 // 2 and held.count() < every.count() // 4
+    assert clustering.threshold_advice(pairs.score_distribution(items.limit(1), clustering.SHARES)).first().p25 is None
+    assert clustering.threshold_advice(pairs.score_distribution(items.limit(0), clustering.SHARES)).first().p25 is None
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "ord long, embedding array<float>")
+    assert clustering.threshold_advice(pairs.score_distribution(same, clustering.SHARES)).first().p90 == pytest.approx(1)
+
+
 def test_canonical_and_mappings(spark):
     members = names(spark, ["Apple Inc.", "Apple", "APPLE", "Solo"]).withColumn("group_id", F.when(F.col("ord") < 3, 0).otherwise(1))
     assert {r.group_id: r.canonical_name for r in clustering.canonical_names(members).collect()} == {0: "APPLE", 1: "Solo"}
